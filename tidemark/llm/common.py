@@ -43,3 +43,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The same rows; texts go to Python in batches of `rows` at most."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
