@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, katz, packing, simhash, suffixes
+from tidemark.llm import chat, decontam, katz, lines, packing, pii, quality, simhash, suffixes
 from tidemark.llm.common import table
 
 
@@ -16,6 +16,14 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.preferences(chat.neighbours(table(spark, sf_dir, "conversations"))))
+
+
 def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -38,9 +54,13 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
+        "op2_chat_formatting": op2_chat_formatting,
         "op3_katz_backoff": op3_katz_backoff,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_quality_rules": op6_quality_rules,
+        "op7_line_dedup": op7_line_dedup,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
     }
