@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches
+
 #: Bytes of ASCII that are no part of a word become a space, A-Z become a-z; all of UTF-8 above ASCII stays.
 FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 SCANNED = "doc_id long, text string, n_words long, hits array<int>, items array<string>"
@@ -90,13 +92,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_by
     A window is `size` consecutive words of an item; an item of fewer words is one window. Null texts have no words, items of null id
     or text have no windows. The text comes along. Documents are never shuffled: each block of items is one more scan in the same stage.
     """
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    out = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
     some = False
     for block in blocks(benchmark, most_bytes):
         out, some = scan(out, block, size), True
     return out if some else scan(out, [], size)
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_bytes: int = 8_000_000) -> DataFrame:
+    """The rows of `docs`, all columns, whose texts have no occurrence of a benchmark window; see `decontaminate`."""
+    context, at = docs.sparkSession.sparkContext, docs.columns.index("text")
+    for block in blocks(benchmark, most_bytes):
+        shared = context.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            machine = automaton(shared.value, size)
+            for batch in batches:
+                clean = []
+                for text in batch.column(at).to_pylist():
+                    found = folded(text) if machine is not None else []
+                    flat = b" " + b" ".join(found) + b" "
+                    clean.append(not found or next(machine.iter(flat.decode("latin-1")), None) is None)
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = bounded_batches(docs).mapInArrow(run, docs.schema)
+    return docs
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from those of `decontaminate`."""
     return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))

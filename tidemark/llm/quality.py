@@ -18,7 +18,7 @@ BUCKETS = 1 << 16
 #: Pseudo-count of a bucket in either model; the raw model is scaled to the trusted one's size first.
 SMOOTH = 5.0
 #: A text is rejected if its mean log ratio per n-gram is lower; clean text of any language is near zero.
-THRESHOLD = -0.15
+THRESHOLD = -0.19
 #: So many labelled documents at most, those with the smallest ids, make the trusted model: a documented bound, so that they can be broadcast.
 TRUSTED = 50_000
 WINDOW = 5

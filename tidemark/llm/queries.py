@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontam, katz, lines, packing, pii, quality, simhash, suffixes
+from tidemark.llm import chat, counting, decontam, katz, lines, packing, pii, quality, simhash, suffixes
 from tidemark.llm.common import table
 
 
@@ -52,6 +52,12 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return counting.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -63,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_dedup": op7_line_dedup,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
+        "op10_token_counts": op10_token_counts,
     }
 
 

@@ -177,3 +177,27 @@ def near_duplicates(docs: DataFrame, errors: int = 3) -> DataFrame:
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, errors: int = 3) -> DataFrame:
+    """The rows of `docs`, all columns, of which each group of near-duplicates keeps one: the smallest doc_id (null first), then text hash.
+
+    Rows that are equal in doc_id and text leave one row. Texts are dealt out once, by doc_id and text hash.
+    """
+    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    own = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__th": th})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(made)], names=["__doc", "__th", "fp"])
+
+    texts = bounded_batches(own.select("__doc", "__th", F.col("text").cast("string")))
+    marked = checkpointed(texts.mapInArrow(run, "__doc long, __th long, fp long"))
+    place = F.struct("__doc", "__th")
+    least = checkpointed(marked.groupBy("fp").agg(F.min(place).alias("first")))
+    roots = components(near_edges(least.select("fp"), errors)).withColumnsRenamed({"node": "fp"})
+    kept = least.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("kept"))
+    kept = kept.select(F.col("kept.__doc").alias("__k"), F.col("kept.__th").alias("__kth"))
+    joined = own.join(kept, own["__doc"].eqNullSafe(F.col("__k")) & (own["__th"] == F.col("__kth")))
+    return joined.dropDuplicates(["__doc", "__th"]).select(docs.columns)
