@@ -11,7 +11,9 @@ again, until one partition is left.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,50 +21,116 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import bounded_batches, checkpointed
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long, done boolean"
 
 
+class EndedPieces:
+    """Ids of runs by a BPE vocabulary whose words end in a suffix: byte pieces with an end byte, merged in the order of their ids.
+
+    Only runs of printable characters under U+0250 take this way: for these the tokenizer's normalisation is lower-casing alone.
+    `usable` tells whether the tokenizer is of this form; any other goes through its library.
+    """
+
+    END = b"\xff"  # in no UTF-8
+
+    def __init__(self, encoder):
+        import json
+
+        import regex
+
+        spec = json.loads(encoder.to_str())
+        model, split = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers") or []]
+        vocabulary, merges = model.get("vocab", {}), model.get("merges", [])
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        self.usable = (
+            model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and steps == ["NFC", "Replace", "Lowercase"]
+            and [p.get("type") for p in split] == ["Split", "ByteLevel"] and split[0].get("behavior") == "Removed"
+            and all(vocabulary.get("".join(p)) == 512 + k for k, p in enumerate(pairs))
+        )
+        if not self.usable:
+            return
+        from tiktoken import _tiktoken
+
+        ranks = {}
+        for token, number in vocabulary.items():
+            if not token.startswith("<|"):
+                word = token.removesuffix("</w>") or token
+                ranks[bytes(byte[c] for c in word) + (self.END if word != token else b"")] = number
+        self.core = _tiktoken.CoreBPE(ranks, {}, r"[\s\S]+")
+        self.find = regex.compile(split[0]["pattern"]["Regex"]).findall
+        self.odd = regex.compile("[^\x21-\x7e\xa1-\u024f]").search
+
+    def __call__(self, run: bytes) -> bytes | None:
+        text = run.decode()
+        if self.odd(text) or "<|" in text:
+            return None
+        ids = []
+        for piece in self.find(text.lower()):
+            ids += self.core.encode_single_piece(piece.encode() + self.END)
+        return array("H", ids).tobytes()
+
+
 class WordIds:
-    """Token ids of whole texts. Pre-tokens never cross ASCII white space, so runs between it are encoded once and remembered."""
+    """Token ids of whole texts. Pre-tokens never cross ASCII white space, so runs between it are encoded once and remembered.
+
+    What is remembered has two generations of at most `most` runs: when the newer is full, it takes the place of the older,
+    from which a run that is met again comes back.
+    """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 450_000):
         from tokenizers import Tokenizer
 
-        self.encoder, self.known, self.most = Tokenizer.from_file(path), {}, most
-
-    def _learn(self, runs: list[bytes]) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
-        for at in range(0, len(runs), 20_000):
-            part = runs[at : at + 20_000]
-            for run, got in zip(part, self.encoder.encode_batch_fast([r.decode() for r in part], add_special_tokens=False), strict=True):
-                self.known[run] = np.array(got.ids, dtype="<u2").tobytes()
+        self.encoder, self.most = Tokenizer.from_file(path), most
+        self.fast = EndedPieces(self.encoder)
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         group, size = [], 0
         for text in texts:
             raw = (text or "").encode()
-            group.append(raw.split())
+            group.append((raw if b"<|" in raw else raw.lower()).split())
             size += len(raw)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield from self._group(group)
                 group, size = [], 0
         yield from self._group(group)
 
     def _group(self, group: list[list[bytes]]) -> Iterator[np.ndarray]:
-        missing = set().union(*group) - self.known.keys()
-        if missing:
-            if len(self.known) + len(missing) > self.most:
-                missing = set().union(*group)
-                self.known.clear()
-            self._learn(list(missing))
+        wanted = set().union(*group)
+        if len(self.known) + len(wanted) > self.most:
+            self.old, self.known = self.known, {}
+        missing = wanted - self.known.keys()
+        back = missing & self.old.keys()
+        for run in back:
+            self.known[run] = self.old[run]
+        new = []
+        for run in missing - back:
+            got = self.fast(run) if self.fast.usable else None
+            if got is None:
+                new.append(run)
+            else:
+                self.known[run] = got
+        for at in range(0, len(new), 4000):
+            part = new[at : at + 4000]
+            for run, got in zip(part, self.encoder.encode_batch_fast([r.decode() for r in part], add_special_tokens=False), strict=True):
+                self.known[run] = np.array(got.ids, dtype="<u2").tobytes()
         for runs in group:
             yield np.frombuffer(b"".join(map(self.known.__getitem__, runs)), dtype="<u2")
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One a worker, so that what a task has learnt serves the next."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """One row per piece of each document: its tokens followed by `end_id`, cut only where longer than `capacity`.
 
@@ -70,7 +138,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer)
+        from tidemark.llm.packing import word_ids
+
+        ids_of = word_ids(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1).to_pylist()), strict=True):
@@ -82,7 +152,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return bounded_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, PIECES)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
