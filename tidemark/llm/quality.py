@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, let, words
+from tidemark.llm.common import let, words
 
 #: Characters that count as symbols; fixed by the contract.
 SYMBOLS = "#*$%&|<>"
+#: Found in a line that has a word.
+WORD = r"[^\x20\x09-\x0D]"
 BUCKETS = 1 << 16
 #: Pseudo-count of a bucket in either model; the raw model is scaled to the trusted one's size first.
 SMOOTH = 5.0
@@ -24,8 +26,18 @@ TRUSTED = 50_000
 WINDOW = 5
 
 
-def repeated_words(w: Column) -> Column:
-    """How many words lie in windows of five words that are found twice or more."""
+def hashed(w: Column) -> Column:
+    """The hash of each word."""
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def paired(w: Column) -> Column:
+    """The hash of each pair of neighbouring words."""
+    return F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, k: F.xxhash64(F.get(w, k), x))
+
+
+def repeated_words(one: Column, two: Column) -> Column:
+    """How many words lie in windows of five words that are found twice or more, from the hashes of words and of pairs."""
 
     def heavy(hashes: Column) -> Column:
         def marked(s: Column) -> Column:
@@ -35,24 +47,22 @@ def repeated_words(w: Column) -> Column:
 
         return let(F.sort_array(F.transform(hashes, lambda h, k: F.struct(h.alias("h"), k.alias("k")))), marked)
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(WINDOW))))
-    found = let(hashes, lambda x: F.when(F.size(F.array_distinct(x)) < F.size(x), heavy(x)).otherwise(0))
-    return F.when(F.size(w) < WINDOW, 0).otherwise(found)
+    fifth = F.slice(one, WINDOW, F.greatest(F.size(one) - (WINDOW - 1), F.lit(0)))
+    windows = F.transform(fifth, lambda x, k: F.xxhash64(F.get(two, k), F.get(two, k + 2), x))
+    return let(windows, lambda x: F.when(F.size(F.array_distinct(x)) < F.size(x), heavy(x)).otherwise(0))
 
 
-def buckets(w: Column) -> Column:
-    """The buckets of a text's words and word pairs."""
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
-    two = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.pmod(F.xxhash64(F.slice(w, i, F.lit(2))), F.lit(BUCKETS)).cast("int"))
-    return F.when(F.size(w) < 2, one).otherwise(F.concat(one, two))
+def bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> Column:
     """One array: for each bucket the log of its probability in the trusted documents over that in all documents."""
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct().orderBy("id").limit(TRUSTED)
-    own = docs.select(F.col("doc_id").cast("long").alias("own_id"), words(F.col("text").cast("string")).alias("w"))
-    marked = own.join(F.broadcast(trusted), F.col("own_id") == F.col("id"), "left").select(F.when(F.col("id").isNotNull(), 1).otherwise(0).alias("t"), F.explode(buckets(F.col("w"))).alias("bucket"))
-    counts = marked.groupBy("bucket").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("r"))
+    own = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").cast("string").alias("text"))
+    grams = let(words(F.col("text")), lambda w: F.concat(hashed(w), paired(w)))
+    marked = own.join(F.broadcast(trusted), F.col("own_id") == F.col("id"), "left").select(F.when(F.col("id").isNotNull(), 1).otherwise(0).alias("t"), F.explode(grams).alias("h"))
+    counts = marked.groupBy(bucket(F.col("h")).alias("bucket")).agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("r"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["t", "r"])
     packed = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "t", "r"))).alias("b"), F.sum("t").alias("nt"), F.sum("r").alias("nr"))
     share = F.col("nt") / F.greatest("nr", F.lit(1))
@@ -67,15 +77,21 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     columns, but one named measured would be replaced.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+
     def measures(w: Column) -> Column:
-        lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
-        mean = let(F.col("measured"), lambda r: let(buckets(w), lambda b: F.when(F.size(b) == 0, 0.0).otherwise(F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(r, x)) / F.size(b))))
+        return let(hashed(w), lambda one: let(paired(w), lambda two: measured(w, one, two)))
+
+    def measured(w: Column, one: Column, two: Column) -> Column:
+        lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+        # the array of ratios is bound once; summed over words first, then over pairs
+        total = lambda r: F.aggregate(two, F.aggregate(one, F.lit(0.0), lambda a, h: a + F.get(r, bucket(h))), lambda a, h: a + F.get(r, bucket(h)))
+        mean = let(F.col("measured"), lambda r: F.when(F.size(w) == 0, 0.0).otherwise(total(r) / (F.size(one) + F.size(two))))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            repeated_words(w).cast("long").alias("n_repeat_words"),
+            repeated_words(one, two).cast("long").alias("n_repeat_words"),
             mean.alias("ratio"),
         )
 
