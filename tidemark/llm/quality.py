@@ -103,6 +103,14 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.withColumn("measured", F.col("measured").withField("kept", ~F.col("measured")["base_failed"] & (F.col("measured")["ratio"] >= THRESHOLD)))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, that the rules keep."""
+    found = quality(docs, labels)
+    # generated and not filtered: a filter would be moved below the measures and take them once for each of its conditions
+    kept = F.explode(F.when(F.col("measured")["kept"], F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))).alias("__kept")
+    return found.select(*docs.columns, kept).select(docs.columns)
+
+
 def digest(found: DataFrame) -> DataFrame:
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
     return found.select("doc_id", *(F.col("measured")[n].alias(n) for n in names))
