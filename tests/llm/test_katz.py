@@ -56,6 +56,10 @@ def test_against_brute_force(spark):
     for g, w in zip(got, want, strict=True):
         assert tuple(g)[:5] == w[:5]
         assert tuple(g)[5:] == pytest.approx(w[5:], rel=1e-9)
+    turns = score(spark.createDataFrame(rows, "doc_id long, text string"), most=20).collect()
+    turns = sorted(turns, key=lambda r: (str(r[0]), r[2], r[5]))
+    assert [tuple(r)[:5] for r in turns] == [tuple(r)[:5] for r in got]
+    assert [r.score for r in turns] == pytest.approx([r.score for r in got], rel=1e-9)
     held = [(g.score, g.base_score) for g in got if g.held_out and g.n_tokens > 5]
     assert held and sum(a for a, _ in held) > sum(b for _, b in held)
 

@@ -43,6 +43,10 @@ HOT, SAMPLE, SAMPLE_X = 8, 5_000, 25
 SALTS = 64
 
 
+#: The arrays of a body: its words, the number of each, the tokens before them, their texts' places in the last, the texts' numbers.
+BODY = ("<u8", "<u4", "<u8", "<u4", "<i8")
+
+
 def hashed(token: bytes) -> int:
     from xxhash import xxh3_64_intdigest
 
@@ -235,7 +239,21 @@ def bigrams(docs: DataFrame, parts: int, hot: Hot, most: int = 600_000) -> DataF
     return bounded_batches(docs).mapInArrow(run, "part int, body binary")
 
 
-def counted(dealt: DataFrame, hot: Hot) -> DataFrame:
+def between(bodies: list[bytes], low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens w with low <= w < high, the tokens before them and their texts' numbers."""
+    ws, vs, docs = [], [], []
+    for body in bodies:
+        words, numbers, v, local, own = stretch(body, *BODY)
+        # words of one part are in order
+        a, b = (len(words) if edge == 2**64 else int(np.searchsorted(words, np.uint64(edge))) for edge in (low, high))
+        start, end = int(numbers[:a].sum()), int(numbers[:b].sum())
+        ws.append(np.repeat(words[a:b], numbers[a:b]))
+        vs.append(v[start:end].copy())
+        docs.append(own[local[start:end]])
+    return np.concatenate(ws), np.concatenate(vs), np.concatenate(docs)
+
+
+def counted(dealt: DataFrame, hot: Hot, most: int = 800_000) -> DataFrame:
     """What each partition of tokens knows, as packed bodies of three kinds:
 
     'sums', per text: its copies, tokens, known tokens, base and score sums, and how many of its bigrams were met 1..K times in training
@@ -244,20 +262,43 @@ def counted(dealt: DataFrame, hot: Hot) -> DataFrame:
     'totals': training tokens, distinct training tokens, and how many bigrams were met 1..K+1 times
 
     Hot words are left out of the distinct tokens, hot pairs of the contexts and of the bigrams met: no partition has all of them.
+    A task opens about `most` of its tokens at a time, those in a range of hashes, and keeps the others packed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bodies = [b for batch in batches for b in batch.column("body").to_pylist()]
         if not bodies:
             return
-        ws, vs, docs = [], [], []
-        while bodies:
-            words, numbers, v, local, own = stretch(bodies.pop(), "<u8", "<u4", "<u8", "<u4", "<i8")
-            ws.append(np.repeat(words, numbers))
-            vs.append(v)
-            docs.append(own[local])
-        w, v, doc = np.concatenate(ws), np.concatenate(vs), np.concatenate(docs)
-        del ws, vs, docs
+        size, owners = 0, []
+        for body in bodies:
+            _, _, v, _, own = stretch(body, *BODY)
+            size += len(v)
+            owners.append(own >> 1)
+        owners = np.unique(np.concatenate(owners))
+        sums = np.zeros((5 + K, len(owners)))
+        totals = np.zeros(K + 3, np.int64)
+        kinds, out = [], []
+        turns = -(-size // most)
+        for turn in range(turns):
+            edges = [turn * 2**64 // turns, (turn + 1) * 2**64 // turns]
+            w, v, doc = between(bodies, *edges)
+            if len(w):
+                for kind, body in known(w, v, doc, owners, sums, totals):
+                    kinds.append(kind)
+                    out.append(body)
+                    if len(out) == 8:
+                        yield pa.record_batch([pa.array(kinds), pa.array(out, pa.binary())], names=["kind", "body"])
+                        kinds, out = [], []
+            del w, v, doc
+        for a in range(0, len(owners), 20_000):
+            kinds.append("sums")
+            out.append(squeeze(owners[a : a + 20_000], *(x[a : a + 20_000] for x in sums)))
+        kinds.append("totals")
+        out.append(totals.astype("<i8").tobytes())
+        for a in range(0, len(out), 8):
+            yield pa.record_batch([pa.array(kinds[a : a + 8]), pa.array(out[a : a + 8], pa.binary())], names=["kind", "body"])
+
+    def known(w, v, doc, owners, sums, totals) -> Iterator[tuple[str, bytes]]:
         order = np.lexsort((v, w))
         w, v, doc = w[order], v[order], doc[order]
         train = (doc & 1).astype(np.int64)
@@ -267,7 +308,7 @@ def counted(dealt: DataFrame, hot: Hot) -> DataFrame:
         new_vw = new_w | np.concatenate([[True], v[1:] != v[:-1]])
         at_w, at_vw = np.flatnonzero(new_w), np.flatnonzero(new_vw)
         c_w, r_vw = np.add.reduceat(train, at_w), np.add.reduceat(train, at_vw)
-        n_train = int(c_w.sum())
+        totals[0] += c_w.sum()
         hot_w, at = hot.places(w[at_w], hot.words[0])
         c_w[hot_w] = hot.words[1, at]
         hot_vw, at = hot.places(mixed(v[at_vw], w[at_vw]), hot.keys)
@@ -275,21 +316,24 @@ def counted(dealt: DataFrame, hot: Hot) -> DataFrame:
         c = np.repeat(c_w, np.diff(np.append(at_w, len(w))))
         r = np.repeat(r_vw, np.diff(np.append(at_vw, len(w))))
         is_end = w == np.uint64(hashed(END.encode()))
-        kinds, out = [], []
-
-        texts, place = np.unique(text, return_inverse=True)
-        add = lambda x: np.bincount(place, weights=x, minlength=len(texts))
-        log_c = np.where(c > 0, np.log10(c + 0.5), 0)
-        sums = [add(is_end), add(np.ones(len(w))), add(c > 0), add(np.log10(c + 0.1)), add(np.where(is_end, 0, -log_c) + np.log10(np.maximum(r, 1)))]
-        sums += [add(r == n) for n in range(1, K + 1)]
-        for a in range(0, len(texts), 20_000):
-            kinds.append("sums")
-            out.append(squeeze(texts[a : a + 20_000], *(x[a : a + 20_000] for x in sums)))
+        totals[1] += ((c_w > 0) & ~hot_w).sum()
+        for n in range(1, K + 2):
+            totals[1 + n] += ((r_vw == n) & ~hot_vw).sum()
+
+        place = np.searchsorted(owners, text)
+        add = lambda row, x: np.add(sums[row], np.bincount(place, weights=x, minlength=len(owners)), out=sums[row])
+        add(0, is_end)
+        add(1, None)
+        add(2, c > 0)
+        add(3, np.log10(c + 0.1))
+        add(4, np.where(is_end | (c == 0), 0, -np.log10(c + 0.5)) + np.log10(np.maximum(r, 1)))
+        for n in range(1, K + 1):
+            add(4 + n, r == n)
+        del place, is_end
         no = np.flatnonzero(r == 0)
         for a in range(0, len(no), 50_000):
             n = no[a : a + 50_000]
-            kinds.append("unmet")
-            out.append(squeeze(text[n], v[n], c[n]))
+            yield "unmet", squeeze(text[n], v[n], c[n])
         met = np.flatnonzero((r_vw > 0) & ~hot_vw)
         context, mass, count = v[at_vw[met]], c[at_vw[met]], r_vw[met]
         order = np.argsort(context, kind="stable")
@@ -299,13 +343,7 @@ def counted(dealt: DataFrame, hot: Hot) -> DataFrame:
             columns = [context[at], np.add.reduceat(mass, at), np.diff(np.append(at, len(context))), np.add.reduceat(count, at)]
             columns += [np.add.reduceat((count == n).astype(np.int64), at) for n in range(1, K + 1)]
             for a in range(0, len(at), 50_000):
-                kinds.append("context")
-                out.append(squeeze(*(x[a : a + 50_000] for x in columns)))
-        kinds.append("totals")
-        totals = [n_train, int(((c_w > 0) & ~hot_w).sum())] + [int(((r_vw == n) & ~hot_vw).sum()) for n in range(1, K + 2)]
-        out.append(np.array(totals, "<i8").tobytes())
-        for a in range(0, len(out), 8):
-            yield pa.record_batch([pa.array(kinds[a : a + 8]), pa.array(out[a : a + 8], pa.binary())], names=["kind", "body"])
+                yield "context", squeeze(*(x[a : a + 50_000] for x in columns))
 
     return dealt.mapInArrow(run, "kind string, body binary")
 
@@ -336,11 +374,12 @@ def discounts(numbers: list[int]) -> list[float]:
     return out
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, most: int = 800_000) -> DataFrame:
     """Per row of `docs` (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Texts of rows whose crc32(doc_id) mod 10 is 0 are held out, all others train the model. A null text is one end token. Rows that are
-    equal in doc_id and text are counted as often as they come, and each gets its score. With no training row all counts are 0.
+    equal in doc_id and text are counted as often as they come, and each gets its score. With no training row all counts are 0. A task of the
+    count opens about `most` tokens at a time.
     """
     spark = docs.sparkSession
     fields = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
@@ -349,7 +388,7 @@ def score(docs: DataFrame) -> DataFrame:
     parts = max(32, shuffle_partitions(spark))
     texts = own.select("row", "held", "text")
     hot = hot_tokens(texts, parts)
-    tables = checkpointed(counted(bigrams(texts, parts, hot).repartition(parts, "part"), hot))
+    tables = checkpointed(counted(bigrams(texts, parts, hot).repartition(parts, "part"), hot, most))
 
     totals = np.zeros(K + 3, np.int64)
     for line in tables.where("kind = 'totals'").select("body").toLocalIterator():  # a few numbers from each partition
