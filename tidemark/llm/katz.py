@@ -43,8 +43,9 @@ HOT, SAMPLE, SAMPLE_X = 8, 5_000, 25
 SALTS = 64
 
 
-#: The arrays of a body: its words, the number of each, the tokens before them, their texts' places in the last, the texts' numbers.
-BODY = ("<u8", "<u4", "<u8", "<u4", "<i8")
+#: The arrays of a body: its words, the number of each, the tokens before them, their texts' places in the last (low and high half,
+#: which pack better), the texts' numbers.
+BODY = ("<u8", "<u4", "<u8", "<u2", "<u2", "<i8")
 
 
 def hashed(token: bytes) -> int:
@@ -73,7 +74,7 @@ def squeeze(*arrays: np.ndarray) -> bytes:
 
     parts = [a.tobytes() for a in arrays]
     head = np.array([len(p) for p in parts], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
 
 
 def stretch(body: bytes, *types: str) -> list[np.ndarray]:
@@ -194,7 +195,7 @@ def hot_tokens(docs: DataFrame, parts: int, most: int = 200_000) -> Hot:
     return hot
 
 
-def bigrams(docs: DataFrame, parts: int, hot: Hot, most: int = 600_000) -> DataFrame:
+def bigrams(docs: DataFrame, parts: int, hot: Hot, most: int = 1_200_000) -> DataFrame:
     """(part, body): the tokens of `part`, each with the token before it, its document's number and whether it is in training.
 
     `docs` has row (a hash of doc_id and text, under 2**62), held and text. A body holds the tokens of a few thousand texts, sorted, so that it packs well.
@@ -233,7 +234,7 @@ def bigrams(docs: DataFrame, parts: int, hot: Hot, most: int = 600_000) -> DataF
             new = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
             numbers = np.diff(np.append(new, len(x))).astype(np.uint32)
             used, local = np.unique(doc[a:b], return_inverse=True)
-            out.append((int(part[a]), squeeze(x[new], numbers, v[a:b], local.astype(np.uint32), own[used])))
+            out.append((int(part[a]), squeeze(x[new], numbers, v[a:b], (local & 0xFFFF).astype("<u2"), (local >> 16).astype("<u2"), own[used])))
         return pa.record_batch([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["part", "body"])
 
     return bounded_batches(docs).mapInArrow(run, "part int, body binary")
@@ -243,13 +244,13 @@ def between(bodies: list[bytes], low: int, high: int) -> tuple[np.ndarray, np.nd
     """The tokens w with low <= w < high, the tokens before them and their texts' numbers."""
     ws, vs, docs = [], [], []
     for body in bodies:
-        words, numbers, v, local, own = stretch(body, *BODY)
+        words, numbers, v, low_half, high_half, own = stretch(body, *BODY)
         # words of one part are in order
         a, b = (len(words) if edge == 2**64 else int(np.searchsorted(words, np.uint64(edge))) for edge in (low, high))
         start, end = int(numbers[:a].sum()), int(numbers[:b].sum())
         ws.append(np.repeat(words[a:b], numbers[a:b]))
         vs.append(v[start:end].copy())
-        docs.append(own[local[start:end]])
+        docs.append(own[low_half[start:end] + (high_half[start:end].astype(np.int64) << 16)])
     return np.concatenate(ws), np.concatenate(vs), np.concatenate(docs)
 
 
@@ -271,7 +272,7 @@ def counted(dealt: DataFrame, hot: Hot, most: int = 800_000) -> DataFrame:
             return
         size, owners = 0, []
         for body in bodies:
-            _, _, v, _, own = stretch(body, *BODY)
+            _, _, v, _, _, own = stretch(body, *BODY)
             size += len(v)
             owners.append(own >> 1)
         owners = np.unique(np.concatenate(owners))
