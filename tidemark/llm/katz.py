@@ -74,7 +74,7 @@ def squeeze(*arrays: np.ndarray) -> bytes:
 
     parts = [a.tobytes() for a in arrays]
     head = np.array([len(p) for p in parts], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=6).compress(head + b"".join(parts))
 
 
 def stretch(body: bytes, *types: str) -> list[np.ndarray]:
