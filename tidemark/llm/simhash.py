@@ -5,6 +5,11 @@ bits. Rotated so that this block leads, they share the top of a trie; below
 it, pairs of nodes are walked together, one bit at a time, and a pair is
 pruned as soon as the differing bits on its way exceed the budget. All the
 tries of a task are walked at once, level by level, as arrays.
+
+`keep_one`, the pipeline's stage, links by the Jaccard similarity of five-word
+shingles. SimHashes at that similarity are some ten bits apart, too many for
+blocks; so documents that share two of their least shingle hashes are
+candidates, and their whole sets of shingles decide.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from tidemark.llm.common import bounded_batches, checkpointed, shuffle_partition
 from tidemark.llm.components import components
 
 BITS = 64
+#: So many least shingle hashes of a document make its keys in `keep_one`.
+LEAST = 8
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -179,25 +186,73 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, errors: int = 3) -> DataFrame:
+def shingles(text: str | None, size: int, seed: int = 42) -> np.ndarray:
+    """The different hashes of a text's shingles, sorted; a text of fewer words is one shingle, none has none."""
+    from xxhash import xxh64_intdigest
+
+    found = (text or "").encode().lower().split()
+    runs = (b" ".join(found[at : at + size]) for at in range(max(1, len(found) - size + 1) if found else 0))
+    return np.unique(np.fromiter((xxh64_intdigest(x, seed) for x in runs), np.uint64))
+
+
+def jaccard_edges(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): pairs of `classes` (sig, n, least, first: place of a text) that link all with a Jaccard similarity of `percent` at least.
+
+    A pair shares two hashes of `least` at least, of which each class has its lowest eight: at 80 % all but 8 in 100,000 do. So that a
+    large group of near copies doesn't make pairs with the square of its size, each class is first held against the least one of those
+    that have two hashes in common, and then only against classes not connected yet.
+    """
+    spread = F.flatten(F.transform("least", lambda x, i: F.transform(F.slice("least", i + 2, F.lit(LEAST)), lambda y: F.xxhash64(x, y))))
+    keyed = checkpointed(classes.select("sig", "n", F.explode(spread).alias("key")))
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("sig").alias("pivot")).where("rows > 1").drop("rows")
+    keyed = checkpointed(keyed.join(several, "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["sig", "own"])
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = checkpointed(pairs.distinct())
+        ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+        places = classes.join(ends, "sig", "left_semi").select("sig", F.col("first.__doc").alias("__k"), F.col("first.__th").alias("__kth"))
+        own = texts.join(places, texts["__doc"].eqNullSafe(F.col("__k")) & (texts["__th"] == F.col("__kth"))).dropDuplicates(["sig"])
+        sets = checkpointed(bounded_batches(own.select("sig", "text")).mapInArrow(run, "sig long, own array<long>"))
+        x, y = sets.select(F.col("sig").alias("a"), F.col("own").alias("x")), sets.select(F.col("sig").alias("b"), F.col("own").alias("y"))
+        same = F.size(F.array_intersect("x", "y"))
+        return pairs.join(x, "a").join(y, "b").where(same * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b")
+
+    near = components(checked(keyed.where("sig <> pivot").select(F.col("pivot").alias("a"), F.col("sig").alias("b"))))
+    rooted = keyed.drop("pivot").join(near.withColumnsRenamed({"node": "sig"}), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    x, y = rooted.alias("x"), rooted.alias("y")
+    open_ = (F.col("x.sig") < F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & open_).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
+    return near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(checked(more))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs`, all columns, of which each group of near-duplicates keeps one: the smallest doc_id (null first), then text hash.
 
-    Rows that are equal in doc_id and text leave one row. Texts are dealt out once, by doc_id and text hash.
+    Near-duplicates are linked by a Jaccard similarity of `percent` at least of their shingles of `size` words; texts without words are
+    one group. Rows that are equal in doc_id and text leave one row.
     """
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     own = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__th": th})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(made)], names=["__doc", "__th", "fp"])
+        from xxhash import xxh64_intdigest
 
-    texts = bounded_batches(own.select("__doc", "__th", F.col("text").cast("string")))
-    marked = checkpointed(texts.mapInArrow(run, "__doc long, __th long, fp long"))
-    place = F.struct("__doc", "__th")
-    least = checkpointed(marked.groupBy("fp").agg(F.min(place).alias("first")))
-    roots = components(near_edges(least.select("fp"), errors)).withColumnsRenamed({"node": "fp"})
-    kept = least.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("kept"))
+        for batch in batches:
+            sets = [shingles(t, size) for t in batch.column(2).to_pylist()]
+            sig = np.array([xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            least = pa.array([x[:LEAST].view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sig), pa.array([len(x) for x in sets], pa.int64()), least], names=["__doc", "__th", "sig", "n", "least"])
+
+    texts = own.select("__doc", "__th", F.col("text").cast("string").alias("text"))
+    marked = checkpointed(bounded_batches(texts).mapInArrow(run, "__doc long, __th long, sig long, n long, least array<long>"))
+    classes = checkpointed(marked.groupBy("sig").agg(F.min(F.struct("__doc", "__th")).alias("first"), F.first("n").alias("n"), F.first("least").alias("least")))
+    roots = components(jaccard_edges(classes, texts, size, percent)).withColumnsRenamed({"node": "sig"})
+    kept = classes.select("sig", "first").join(roots, "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("first").alias("kept"))
     kept = kept.select(F.col("kept.__doc").alias("__k"), F.col("kept.__th").alias("__kth"))
     joined = own.join(kept, own["__doc"].eqNullSafe(F.col("__k")) & (own["__th"] == F.col("__kth")))
     return joined.dropDuplicates(["__doc", "__th"]).select(docs.columns)
