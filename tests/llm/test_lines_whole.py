@@ -1,0 +1,45 @@
+import random
+
+from pyspark.sql import functions as F
+
+from tidemark.llm.components import components
+from tidemark.llm.lines import SIMILAR, dedup_lines, links
+
+
+def kept(spark, texts, small):
+    rows = dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), small).collect()
+    return {r.doc_id: r.text for r in rows}
+
+
+def test_keys_against_edit_similarity_alone(spark):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    lines = set()
+    for _ in range(50):
+        w = [rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 4, 6, 10, 15, 40]))]
+        lines.add(" ".join(w))
+        for _ in range(2):
+            v = list(w)
+            for _ in range(max(1, len(w) // 8)):
+                v[rng.randrange(len(v))] = rng.choice(vocabulary)
+            lines.add(" ".join(v))
+        line = " ".join(w)
+        at = rng.randrange(len(line))
+        lines.add((line[:at] + "q" + line[at + 1 :]).strip())
+    lines = sorted(x for x in lines if "  " not in x)
+    both = spark.createDataFrame([(x,) for x in lines], "a string").crossJoin(spark.createDataFrame([(x,) for x in lines], "b string"))
+    near = F.levenshtein("a", "b") <= F.greatest(F.length("a"), F.length("b")) * (1 - SIMILAR) + 1e-9
+    want = {tuple(r) for r in both.where((F.col("a") < F.col("b")) & near).collect()}
+    assert len(want) > 60
+    classes = spark.createDataFrame([(x,) for x in lines], "norm string").select(F.xxhash64("norm").alias("h"), F.hash("norm").alias("g"), "norm")
+    of = {r.norm: r.h for r in classes.collect()}
+    for small in (0, 1000):
+        root = {r.node: r.root for r in components(links(classes, small)).collect()}
+        missed = [p for p in want if root.get(of[p[0]], 0) != root.get(of[p[1]], 1)]
+        assert not missed, missed
+
+
+def test_changed_word_is_found(spark):
+    line = "a changed word in a line of ten words differs"
+    for small in (0, 1000):
+        assert kept(spark, [line, line.replace("changed", "altered") + "\nother text"], small)[1] == "other text"
