@@ -43,3 +43,10 @@ def test_changed_word_is_found(spark):
     line = "a changed word in a line of ten words differs"
     for small in (0, 1000):
         assert kept(spark, [line, line.replace("changed", "altered") + "\nother text"], small)[1] == "other text"
+
+
+def test_short_and_unspaced_lines(spark):
+    paragraph = "".join(chr(0x4E00 + 37 * k % 2000) for k in range(80))
+    texts = ["of edti oner\nof\n!!\n" + paragraph, "Of edti, oner\nof\n!!\nx", paragraph[:40] + "\u4e00" + paragraph[41:]]
+    for small in (0, 1000):
+        assert kept(spark, texts, small) == {0: texts[0], 1: "!!\nx", 2: ""}
