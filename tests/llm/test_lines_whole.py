@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.lines import SIMILAR, dedup_lines, links
+from tidemark.llm.lines import SIMILAR, dedup_lines, links, normalised, simhashes
 
 
 def kept(spark, texts, small):
@@ -50,3 +50,19 @@ def test_short_and_unspaced_lines(spark):
     texts = ["of edti oner\nof\n!!\n" + paragraph, "Of edti, oner\nof\n!!\nx", paragraph[:40] + "\u4e00" + paragraph[41:]]
     for small in (0, 1000):
         assert kept(spark, texts, small) == {0: texts[0], 1: "!!\nx", 2: ""}
+
+
+def test_long_lines_have_a_simhash(spark):
+    from xxhash import xxh64_intdigest
+
+    rng = random.Random(22)
+    words = [rng.choice("abcdefghijkl") for _ in range(33_000)]
+    texts = [" ".join(words), " ".join([*words[:9_000], "zz", *words[9_001:]])]
+    classes = spark.createDataFrame([(x,) for x in texts], "t string").select(normalised(F.col("t")).alias("norm")).select(F.xxhash64("norm").alias("h"), F.hash("norm").alias("g"), "norm")
+    fps = {r.norm: r.fp & (2**64 - 1) for r in classes.join(simhashes(classes), "h").collect()}
+    assert len(fps) == 2
+    for norm, fp in fps.items():
+        hashes = [xxh64_intdigest(w.encode(), 42) for w in norm.split(" ")]
+        assert fp == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hashes) > len(hashes))
+    for small in (0, 1000):
+        assert kept(spark, texts, small) == {0: texts[0], 1: ""}
