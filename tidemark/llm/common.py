@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -34,21 +35,47 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def free(name: str, df: DataFrame) -> str:
+    """The name, with as many underscores after it as make it differ from all columns of `df`, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names. A session on one machine without one (tests) gets a temporary folder, a cluster an error."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        folder = sc.getCheckpointDir()
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder that the session names; only a session without one (tests) gets a temporary folder."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    """The rows, written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
     """As `checkpointed`, for rows with texts: a compressed table in the same folder, of which later reads take the columns they need."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
-    path = f"{folder}/tidemark-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes a `written` table that no later step reads."""
+    spark = table.sparkSession
+    jvm, path = spark._jvm, os.path.dirname(table.inputFiles()[0]) if table.inputFiles() else None
+    if path and os.path.basename(path).startswith("tidemark-"):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
