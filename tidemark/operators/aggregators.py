@@ -15,8 +15,10 @@ SKETCHES = {"HLLSketchBuild": "hll", "HLLSketchMerge": "hll", "hyperUnique": "hl
 
 
 class Aggregators:
-    def __init__(self, schema: T.StructType):
+    def __init__(self, schema: T.StructType, subtotalled: list[str] | None = None):
+        """`subtotalled` names the dimensions of a query with grouping sets."""
         self.types = {f.name: f.dataType for f in schema}
+        self.subtotalled = subtotalled or []
         self.filters = Filters(schema)
 
     def field(self, spec: dict, key: str = "fieldName") -> Column:
@@ -46,7 +48,10 @@ class Aggregators:
             if kind in (f"{number}First", f"{number}Last"):
                 return self._by_time(s, keep(self._number(s, cast)), kind.endswith("First"))
         if kind in ("stringFirst", "stringLast"):
-            text = F.left(keep(self.field(s).cast("string")), F.lit(int(s.get("maxStringBytes", 1024))))
+            # so many bytes at most, cut between characters
+            most = F.lit(int(s.get("maxStringBytes", 1024)))
+            text = keep(self.field(s).cast("string"))
+            text = F.when(F.octet_length(text) <= most, text).otherwise(F.regexp_replace(F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), most), "UTF-8"), "\uFFFD+$", ""))
             return self._by_time(s, text, kind == "stringFirst")
         if kind == "cardinality":
             fields = [f if isinstance(f, str) else f["dimension"] for f in s.get("fields", s.get("fieldNames", []))]
@@ -75,6 +80,13 @@ class Aggregators:
         if kind == "stringAgg":
             values = F.sort_array(F.collect_list(keep(self.field(s).cast("string"))))
             return F.when(F.size(values) > 0, F.array_join(values, s.get("separator", ",")))
+        if kind == "grouping":
+            # the first name is the highest bit, 1 where it is aggregated away; without grouping sets nothing is
+            bits = [F.grouping(f"`{n}`").cast("bigint") if n in self.subtotalled else F.lit(0).cast("bigint") for n in s.get("groupings") or s.get("fields") or []]
+            out = F.lit(0).cast("bigint")
+            for b in bits:
+                out = out * 2 + b
+            return out if self.subtotalled else F.max(out)
         raise Unsupported("aggregator", f"type {kind!r}")
 
     def _number(self, s: dict, cast: str) -> Column:

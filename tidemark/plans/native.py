@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from tidemark.catalog import TIME, Catalog
 from tidemark.errors import Invalid, Unsupported
 from tidemark.functions.expressions import over_columns
-from tidemark.functions.granularity import FIXED, bucket, named, within
+from tidemark.functions.granularity import FIXED, bucket, millis, named, within
 from tidemark.operators.aggregators import Aggregators, PostAggregators, finalized
 from tidemark.operators.dims import dimension
 from tidemark.operators.filters import Filters, searched
@@ -81,7 +81,14 @@ class Native:
 
     def rows(self, spec: dict) -> DataFrame:
         """The source with virtual columns, in the intervals and through the filter; filters come before any explosion."""
-        df = self.source(spec["dataSource"])
+        of, test = spec["dataSource"], spec.get("filter")
+        name = of if isinstance(of, str) else of.get("name") if of.get("type") == "table" else None
+        made = {v["name"] for v in spec.get("virtualColumns") or []}
+        if name is not None and test:
+            # comparisons with the columns as they are stored reach the scan; virtual columns have no part in it
+            df = self.catalog.table(name, lambda x: Filters(T.StructType([f for f in x.schema if f.name not in made])).necessary(test))
+        else:
+            df = self.source(of)
         intervals = spec.get("intervals")
         if isinstance(intervals, dict):
             intervals = intervals.get("intervals")
@@ -135,11 +142,20 @@ class Native:
 
     @staticmethod
     def _filled(out: DataFrame, name: str, spec: dict) -> DataFrame:
-        """Empty buckets between the first and last of each next coarser bucket: hours for less than hours, days, weeks."""
+        """Empty buckets between the first and last of each next coarser bucket: hours for less than hours, days, weeks.
+
+        Without any data there is one bucket for the start of each interval.
+        """
         outer = "hour" if FIXED[name] < FIXED["hour"] else "day" if FIXED[name] < FIXED["day"] else "week"
         step = F.expr(f"make_dt_interval(0, 0, 0, {FIXED[name] / 1000})")
         ends = out.groupBy(F.date_trunc(outer, TIMESTAMP).alias("macro")).agg(F.min(TIMESTAMP).alias("low"), F.max(TIMESTAMP).alias("high"))
         every = ends.select(F.explode(F.sequence("low", "high", step)).alias(TIMESTAMP))
+        intervals = spec.get("intervals")
+        intervals = intervals.get("intervals") if isinstance(intervals, dict) else intervals
+        if intervals:
+            starts = sorted({millis(i.split("/")[0]) // FIXED[name] * FIXED[name] for i in ([intervals] if isinstance(intervals, str) else intervals)})
+            none = out.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
+            every = every.union(none.select(F.explode(F.array(*(F.timestamp_millis(F.lit(x)) for x in starts)))))
         out = every.join(out, TIMESTAMP, "left")
         counts = [a["name"] for a in spec.get("aggregations") or [] if a["type"] == "count"]
         return out.na.fill(0, counts) if counts else out
@@ -191,7 +207,7 @@ class Native:
             unknown = {d for s in subtotals for d in s} - set(names)
             if unknown:
                 raise Invalid("subtotalsSpec", f"no such dimension: {sorted(unknown)}")
-            make = Aggregators(df.schema)
+            make = Aggregators(df.schema, names)
             sets = [[F.col(f"`{c}`") for c in [*time, *s]] for s in subtotals]
             columns = [F.col(f"`{c}`") for c in [*time, *names]]
             out = self._post(df.groupingSets(sets, *columns).agg(*(make(a) for a in spec.get("aggregations") or [])), spec)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +18,31 @@ COUNT = {"type": "count", "name": "n"}
 SUM = {"type": "doubleSum", "name": "s", "fieldName": "value"}
 STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 ROUND = "round({}, 2)"
+#: The tables' columns of time.
+TIMES = {"events": "ts", "lineitem": "l_shipdate", "orders": "o_orderdate"}
 
 
-def shown(df: DataFrame) -> DataFrame:
+def places(text: str) -> int:
+    """Decimals to compare: sums of prices are exact in two, quotients in windows of up to a hundred rows never end in half of the ninth."""
+    if "lineitem" in text or "orders" in text:
+        return 2
+    return 9 if '"window"' in text or " OVER (" in text else 6
+
+
+def rounded(text: str) -> str:
+    """The SQL with as many decimals in its calls of round(..., 2) as `places` says."""
+    digits, out, opened = places(text), [], []
+    for token in re.findall(r"round\(|, 2\)|.", text, re.S):
+        if token in ("round(", "("):
+            opened.append(token)
+        elif token in (")", ", 2)"):
+            of = opened.pop()
+            token = f", {digits})" if of == "round(" and token == ", 2)" else token
+        out.append(token)
+    return "".join(out)
+
+
+def shown(df: DataFrame, digits: int) -> DataFrame:
     """Times as text and doubles rounded, as both engines compare them."""
     columns = []
     for f in df.schema:
@@ -26,29 +50,25 @@ def shown(df: DataFrame) -> DataFrame:
         if kind.startswith("timestamp"):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif kind in ("double", "float"):
-            c = F.round(c.cast("double"), 2)
+            c = F.round(c.cast("double"), digits)
         elif kind in ("integer", "short"):
             c = c.cast("bigint")
         columns.append(c.alias(f.name))
     return df.select(columns)
 
 
-def native(**spec) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        catalog = Catalog.of_folder(spark, sf_dir)
-        catalog.lookups["kinds"] = KINDS
-        return shown(Native(catalog)(spec))
+def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    out = Catalog.of_folder(spark, sf_dir, TIMES)
+    out.lookups["kinds"] = KINDS
+    return out
 
-    return run
 
+def native(**spec) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: shown(Native(catalog(spark, sf_dir))(spec), places(json.dumps(spec)))
 
-def sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        surface = session(spark, sf_dir)
-        surface.catalog.lookups["kinds"] = KINDS
-        return shown(surface(text))
 
-    return run
+def sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: shown(session(catalog(spark, sf_dir))(text), places(text))
 
 
 KINDS = {"click": "Click", "view": "View", "error": "Error"}
@@ -204,7 +224,6 @@ Q["j_lookup_left"] = (native(queryType="groupBy", dataSource=_join | {"joinType"
 Q["j_inline_inner"] = (native(queryType="groupBy", dataSource={"type": "join", "left": {"type": "table", "name": "events"}, "right": {"type": "inline", "columnNames": ["id", "team"], "columnTypes": ["LONG", "STRING"], "rows": [[1, "a"], [2, "b"], [3, "a"]]}, "rightPrefix": "t.", "keys": [["user_id", "id"]], "joinType": "INNER"}, granularity="all", dimensions=[{"type": "default", "dimension": "t.team", "outputName": "team"}], aggregations=[COUNT]), "SELECT team, count(*) AS n FROM events JOIN (VALUES (1, 'a'), (2, 'b'), (3, 'a')) AS t(id, team) ON user_id = id GROUP BY 1")
 Q["u_all"] = (native(queryType="timeseries", dataSource={"type": "union", "dataSources": ["events", "events"]}, granularity="all", aggregations=[COUNT, SUM]), "SELECT 2 * count(*) AS n, round(2 * sum(value), 2) AS s FROM events")
 Q["q_nested"] = (native(queryType="timeseries", dataSource={"type": "query", "query": {"queryType": "groupBy", "dataSource": "events", "granularity": "all", "dimensions": ["user_id"], "aggregations": [COUNT]}}, granularity="all", aggregations=[{"type": "longMax", "name": "most", "fieldName": "n"}]), "SELECT max(n) AS most FROM (SELECT count(*) AS n FROM events GROUP BY user_id)")
-Q["mv_explode"] = (native(queryType="groupBy", dataSource={"type": "query", "query": {"queryType": "scan", "dataSource": "orders"}}, granularity="all", virtualColumns=[], dimensions=[{"type": "extraction", "dimension": "o_orderpriority", "outputName": "d", "extractionFn": {"type": "substring", "index": 0, "length": 1}}], aggregations=[COUNT]), "SELECT substring(o_orderpriority, 1, 1) AS d, count(*) AS n FROM orders GROUP BY 1")
 Q["vc_arith"] = (native(queryType="timeseries", dataSource="lineitem", granularity="all", virtualColumns=[{"name": "net", "expression": "l_extendedprice * (1 - l_discount)"}, {"name": "gross", "expression": "net * (1 + l_tax)"}], aggregations=[g("doubleSum", "net", "net"), g("doubleSum", "gross", "gross")]), "SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS net, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS gross FROM lineitem")
 Q["q1"] = (native(queryType="groupBy", dataSource="lineitem", granularity="all", dimensions=["l_returnflag", "l_linestatus"], aggregations=[COUNT, QTY, PRICE], intervals=["1992-01-01/2003-01-01"]), Q["gb_two_dims"][1])
 Q["q3"] = (native(queryType="topN", dataSource="lineitem", granularity="all", dimension="l_orderkey", metric="price", threshold=10, aggregations=[PRICE], intervals=["1996-03-01/1996-04-01"]), "SELECT l_orderkey, round(sum(l_extendedprice), 2) AS price FROM lineitem WHERE l_shipdate >= '1996-03-01' AND l_shipdate < '1996-04-01' GROUP BY 1 ORDER BY sum(l_extendedprice) DESC, l_orderkey::varchar LIMIT 10")
@@ -222,9 +241,62 @@ Q["sql_cte_join"] = (sql("WITH big AS (SELECT o_custkey, COUNT(*) AS n FROM orde
 Q["sql_case_null"] = (sql("SELECT event_id, CASE WHEN user_id > 7 THEN 'high' ELSE 'low' END AS c, NULLIF(user_id, 3) AS z, NVL(NULLIF(user_id, 3), -1) AS v FROM events"), "SELECT event_id, CASE WHEN user_id > 7 THEN 'high' ELSE 'low' END AS c, nullif(user_id, 3) AS z, coalesce(nullif(user_id, 3), -1) AS v FROM events")
 
 
+def tagged(**spec) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over orders with `tags`, the words of their priority: several values a row."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("tags", F.split("o_orderpriority", "[- ]"))
+        return shown(Native(catalog(spark, sf_dir).add("tagged", orders, "o_orderdate"))(spec | {"dataSource": "tagged"}), 2)
+
+    return run
+
+
+_TAGS = "WITH o AS (SELECT o_orderkey, string_split_regex(o_orderpriority, '[- ]') AS tags FROM orders) "
+Q["mv_explode"] = (tagged(queryType="groupBy", granularity="all", dimensions=["tags"], aggregations=[COUNT]), _TAGS + "SELECT tags, count(*) AS n FROM (SELECT unnest(tags) AS tags FROM o) GROUP BY 1")
+Q["mv_filter_explode"] = (tagged(queryType="groupBy", granularity="all", dimensions=["tags"], aggregations=[COUNT], filter={"type": "selector", "dimension": "tags", "value": "NOT"}), _TAGS + "SELECT tags, count(*) AS n FROM (SELECT unnest(tags) AS tags FROM o WHERE list_contains(tags, 'NOT')) GROUP BY 1")
+Q["mv_list_filtered"] = (tagged(queryType="groupBy", granularity="all", dimensions=[{"type": "listFiltered", "delegate": "tags", "values": ["LOW", "NOT", "1"]}], aggregations=[COUNT]), _TAGS + "SELECT tags, count(*) AS n FROM (SELECT unnest(tags) AS tags FROM o) WHERE tags IN ('LOW', 'NOT', '1') GROUP BY 1")
+Q["mv_filter_only"] = (tagged(queryType="timeseries", granularity="all", aggregations=[COUNT], filter={"type": "mvFilterOnly", "dimension": "tags", "values": ["HIGH", "LOW"]}), _TAGS + "SELECT count(*) AS n FROM o WHERE list_has_any(tags, ['HIGH', 'LOW'])")
+Q["mv_filter_none"] = (tagged(queryType="timeseries", granularity="all", aggregations=[COUNT], filter={"type": "mvFilterNone", "dimension": "tags", "values": ["HIGH", "LOW"]}), _TAGS + "SELECT count(*) AS n FROM o WHERE NOT list_has_any(tags, ['HIGH', 'LOW'])")
+Q["gb_grouping_mask"] = (native(queryType="groupBy", dataSource="lineitem", granularity="all", dimensions=["l_returnflag", "l_linestatus"], subtotalsSpec=[["l_returnflag", "l_linestatus"], ["l_linestatus"], []], aggregations=[COUNT, {"type": "grouping", "name": "mask", "groupings": ["l_returnflag", "l_linestatus"]}]), "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_returnflag, l_linestatus)::bigint AS mask FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())")
+Q["ts_no_data"] = (native(queryType="timeseries", dataSource="events", granularity="day", intervals=["2030-01-01/2030-01-04", "2031-05-01T07:00:00Z/2031-05-02"], aggregations=[COUNT, SUM]), "SELECT timestamp, 0::bigint AS n, NULL::double AS s FROM (VALUES ('2030-01-01 00:00:00'), ('2031-05-01 00:00:00')) AS t(timestamp)")
+Q["w_nth_value"] = (native(queryType="window", dataSource="events", columns=["event_id"], windows=[{"function": "NTH_VALUE", "column": "value", "n": 3, "outputName": "w", "partitionBy": ["user_id"], "orderBy": ["__time", "event_id"]}]), "SELECT event_id, round(nth_value(value, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 2) AS w FROM events")
+Q["w_outer_limit"] = (native(queryType="window", dataSource="events", columns=["event_id"], windows=[{"function": "ROW_NUMBER", "outputName": "w", "partitionBy": ["user_id"], "orderBy": ["__time", "event_id"]}], orderBy=[{"dimension": "event_id", "direction": "descending"}], limit=25), "SELECT event_id, w FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS w FROM events) ORDER BY event_id DESC LIMIT 25")
+Q["scan_page"] = (native(queryType="scan", dataSource="events", columns=["event_id", "event_type"], order="descending", offset=7, limit=40), "SELECT event_id, event_type FROM events ORDER BY ts DESC LIMIT 40 OFFSET 7")
+Q["union_all_queries"] = (native(queryType="unionAll", queries=[{"queryType": "timeseries", "dataSource": "events", "granularity": "all", "aggregations": [COUNT]}, {"queryType": "timeseries", "dataSource": "orders", "granularity": "all", "aggregations": [COUNT]}]), "SELECT count(*) AS n FROM events UNION ALL SELECT count(*) AS n FROM orders")
+for _kind, _test in (("insensitive_contains", "contains(lower(event_type), 'cl')"), ("fragment", "contains(lower(event_type), 'c') AND contains(lower(event_type), 'k')")):
+    Q[f"search_{_kind}"] = (native(queryType="search", dataSource="events", granularity="day", searchDimensions=["event_type"], query={"type": _kind, "value": "CL", "values": ["C", "K"]}, sort={"type": "strlen"}, limit=2), f"SELECT strftime(d, '%Y-%m-%d %H:%M:%S') AS timestamp, 'event_type' AS dimension, value, count FROM (SELECT date_trunc('day', ts) AS d, event_type AS value, count(*) AS count, row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY length(event_type), event_type) AS k FROM events WHERE {_test} GROUP BY 1, 2) WHERE k <= 2")
+
+
+def hll_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each event type, merged: as many users as there are in all."""
+    inner = {"queryType": "groupBy", "dataSource": "events", "granularity": "all", "dimensions": ["event_type"], "aggregations": [{"type": "HLLSketchBuild", "name": "h", "fieldName": "user_id"}], "context": {"finalize": False}}
+    outer = {"queryType": "timeseries", "dataSource": {"type": "query", "query": inner}, "granularity": "all", "aggregations": [{"type": "HLLSketchMerge", "name": "users", "fieldName": "h"}]}
+    found = Native(catalog(spark, sf_dir))(outer)
+    return found.select(F.round("users").cast("bigint").alias("users"))
+
+
+Q["a_hll_merge"] = (hll_merge, "SELECT count(DISTINCT user_id) AS users FROM events")
+
+
+def array_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = {"queryType": "groupBy", "dataSource": "events", "granularity": "all", "dimensions": ["user_id"], "aggregations": [{"type": "arrayAgg", "name": "kinds", "fieldName": "event_type", "distinct": True}]}
+    return Native(catalog(spark, sf_dir))(spec).withColumn("kinds", F.array_join("kinds", ","))
+
+
+Q["a_array_agg"] = (array_agg, "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY 1")
+Q["sql_time_floor_zone"] = (sql("SELECT event_id, TIME_FLOOR(__time, 'P1D', NULL, 'Asia/Tokyo') AS z, TIME_FLOOR(__time, 'PT6H', TIMESTAMP '2024-01-01 01:00:00') AS o, TIME_CEIL(__time, 'P1D', NULL, 'Asia/Tokyo') AS c, TIME_EXTRACT(__time, 'HOUR', 'Asia/Tokyo') AS h FROM events"), "SELECT event_id, strftime(date_trunc('day', ts + INTERVAL 9 HOUR) - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS z, strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01 01:00:00'), '%Y-%m-%d %H:%M:%S') AS o, strftime(CASE WHEN date_trunc('day', ts + INTERVAL 9 HOUR) = ts + INTERVAL 9 HOUR THEN ts ELSE date_trunc('day', ts + INTERVAL 9 HOUR) + INTERVAL 15 HOUR END, '%Y-%m-%d %H:%M:%S') AS c, extract(hour FROM ts + INTERVAL 9 HOUR)::bigint AS h FROM events")
+Q["sql_mv_filter"] = (sql("SELECT o_orderkey, ARRAY_JOIN(MV_FILTER_ONLY(SPLIT(o_orderpriority, '-'), ARRAY['LOW', 'HIGH']), ',') AS a, ARRAY_JOIN(MV_FILTER_NONE(SPLIT(o_orderpriority, '-'), ARRAY['LOW', 'HIGH']), ',') AS b FROM orders"), "SELECT o_orderkey, array_to_string(list_filter(string_split(o_orderpriority, '-'), lambda x: x IN ('LOW', 'HIGH')), ',') AS a, array_to_string(list_filter(string_split(o_orderpriority, '-'), lambda x: x NOT IN ('LOW', 'HIGH')), ',') AS b FROM orders")
+Q["sql_information_schema"] = (sql("SELECT TABLE_NAME, COLUMN_NAME, ORDINAL_POSITION FROM INFORMATION_SCHEMA.COLUMNS WHERE TABLE_NAME = 'events'"), "SELECT 'events' AS \"TABLE_NAME\", c AS \"COLUMN_NAME\", k AS \"ORDINAL_POSITION\" FROM (VALUES ('__time', 1::bigint), ('event_id', 2), ('user_id', 3), ('event_type', 4), ('value', 5), ('props', 6)) AS t(c, k)")
+Q["sql_information_tables"] = (sql("SELECT TABLE_SCHEMA, TABLE_NAME, TABLE_TYPE FROM INFORMATION_SCHEMA.TABLES"), "SELECT 'tidemark' AS \"TABLE_SCHEMA\", n AS \"TABLE_NAME\", 'TABLE' AS \"TABLE_TYPE\" FROM (VALUES ('events'), ('lineitem'), ('orders')) AS t(n)")
+Q["sql_aggregates"] = (sql("SELECT event_type, COUNT(DISTINCT user_id) AS d, SUM(value) AS s, MIN(value) AS lo, MAX(value) AS hi, AVG(value) AS m, STDDEV_POP(value) AS sd, VAR_SAMP(value) AS v FROM events GROUP BY event_type"), "SELECT event_type, count(DISTINCT user_id) AS d, round(sum(value), 2) AS s, round(min(value), 2) AS lo, round(max(value), 2) AS hi, round(avg(value), 2) AS m, round(stddev_pop(value), 2) AS sd, round(var_samp(value), 2) AS v FROM events GROUP BY 1")
+Q["sql_listagg"] = (sql("SELECT user_id, LISTAGG(DISTINCT event_type, ',') WITHIN GROUP (ORDER BY event_type) AS l FROM events GROUP BY user_id"), "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS l FROM events GROUP BY 1")
+Q["sql_order_limit"] = (sql("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 20 OFFSET 5"), "SELECT event_id, round(value, 2) AS value FROM events ORDER BY events.value DESC, event_id LIMIT 20 OFFSET 5")
+Q["sql_union_all"] = (sql("SELECT event_type AS k FROM events WHERE user_id = 1 UNION ALL SELECT o_orderstatus FROM orders WHERE o_custkey < 20"), "SELECT event_type AS k FROM events WHERE user_id = 1 UNION ALL SELECT o_orderstatus FROM orders WHERE o_custkey < 20")
+
+
 def rollup_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = {"timestampSpec": {"column": "ts"}, "dimensionsSpec": {"dimensions": ["event_type"]}, "metricsSpec": [{"type": "count", "name": "cnt"}, {"type": "doubleSum", "name": "s", "fieldName": "value"}], "granularitySpec": {"rollup": True, "queryGranularity": "hour"}}
-    return shown(ingest(spark.read.parquet(f"{sf_dir}/events.parquet"), spec).withColumnRenamed("__time", "t"))
+    return shown(ingest(spark.read.parquet(f"{sf_dir}/events.parquet"), spec).withColumnRenamed("__time", "t"), 6)
 
 
 Q["rollup_hour"] = (rollup_hour, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS t, event_type, count(*) AS cnt, round(sum(value), 2) AS s FROM events GROUP BY 1, 2")
@@ -235,7 +307,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for name, (_, text) in Q.items() if text}
+    return {name: rounded(text) for name, (_, text) in Q.items() if text}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

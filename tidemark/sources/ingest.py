@@ -23,7 +23,15 @@ def read(spark: SparkSession, spec: dict, path: str | None = None) -> DataFrame:
         if kind == "tsv":
             options["quote"] = ""
         columns = spec.get("columns")
-        df = spark.read.options(**options).csv(path, schema=", ".join(f"`{c}` string" for c in columns) if columns else None)
+        schema, skipped = ", ".join(f"`{c}` string" for c in columns) if columns else None, int(spec.get("skipHeaderRows", 0))
+        if skipped:
+            # the first lines of each file, which is read whole by one task: lines have no number otherwise
+            lines = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.split("value", "\r?\n"), skipped + 1, 1 << 30)).alias("value")).where("value <> ''")
+            if schema is None:
+                raise Invalid("inputFormat", "skipHeaderRows needs columns")
+            df = lines.select(F.from_csv("value", schema, {"sep": options["sep"]} | ({"quote": ""} if kind == "tsv" else {})).alias("r")).select("r.*")
+        else:
+            df = spark.read.options(**options).csv(path, schema=schema)
         separator = spec.get("listDelimiter", "\u0001")
         return df.withColumns({c: F.split(c, f"\\Q{separator}\\E") for c in spec.get("listColumns", [])})
     if kind == "parquet":
