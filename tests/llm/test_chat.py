@@ -29,3 +29,16 @@ def test_every_turn_of_the_table_comes_back(spark):
     got = preferences(neighbours(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
     assert len(got) == 5
     assert all(g.n_prompt_turns == 2 and g.prompt.count("<|end|>") == 2 and g.chosen.count("<|end|>") == 2 for g in got)
+
+
+def test_large_ids_and_ties(spark):
+    big = 1 << 60
+    turns = [(big + k, t, "user", f"{k}{t}") for k in range(4) for t in (0, 1)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    assert sorted(r.pair_id for r in preferences(neighbours(df)).collect()) == [big >> 1, (big >> 1) + 1]
+    tied = spark.createDataFrame([(0, 1, "user", "b"), (0, 1, "user", "a"), (0, None, "user", "z"), (0, 1, "user", "a"), (1, 5, "assistant", "x" * 100_000)], df.schema)
+    row = preferences(neighbours(tied)).first()
+    assert row.prompt == "" and row.chosen == "".join(f"<|user|>\n{x}<|end|>\n" for x in "zaab") and row.rejected.count("x") == 100_000
+    long = spark.createDataFrame([(c, t, "user", str(t)) for c in (0, 1) for t in range(3000)] + [(1, 3000, "assistant", "end")], df.schema)
+    row = preferences(neighbours(long)).first()
+    assert (row.n_prompt_turns, row.chosen, row.rejected) == (3000, "", "<|assistant|>\nend<|end|>\n")

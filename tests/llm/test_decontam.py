@@ -16,12 +16,12 @@ def brute(docs, items, size=10):
         found, hit, owners = WORD.findall(low(text)), set(), set()
         for item, passage in items:
             own = WORD.findall(low(passage))
-            for at in range(max(1, len(own) - size + 1) if own and item is not None else 0):
+            for at in range(max(1, len(own) - size + 1) if own else 0):
                 w = own[at : at + size]
                 for k in range(len(found) - len(w) + 1):
                     if found[k : k + len(w)] == w:
                         hit |= set(range(k, k + len(w)))
-                        owners.add(str(item))
+                        owners |= {str(item)} - {"None"}
         out.append((doc_id, len(found), len(hit), len(owners), sha_of(list(owners)), bool(hit)))
     return out
 
@@ -36,6 +36,15 @@ def test_against_brute_force(spark):
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
     want = sorted(brute(docs, items), key=key)
     for most in (8_000_000, 40):
+        for r in decontaminate(d, b, most_bytes=most).collect():
+            places = [m.span() for m in WORD.finditer(low(r.text))]
+            runs = []
+            for k in r.hits:
+                if runs and runs[-1][2] == k - 1:
+                    runs[-1][1:] = [places[k][1], k]
+                else:
+                    runs.append([*places[k], k])
+            assert [(x.start, x.end) for x in r.spans] == [tuple(x[:2]) for x in runs]
         assert sorted((tuple(r) for r in digest(decontaminate(d, b, most_bytes=most)).collect()), key=key) == want
 
 

@@ -55,3 +55,17 @@ def test_checksums_and_context(spark):
     assert got[4] == [("phone", 5, 20, 1.0)]
     assert got[5] == [("iban", 0, 22, 0.9)]
     assert digest(detect(df.limit(0))).collect() == []
+
+
+def test_account_numbers_end_where_their_check_passes(spark):
+    texts = ["pay GB82 WEST 1234 5698 7654 32 BIC CODE", "DE89370400440532013000 EUR 500", "NL91 ABNA 0417 1643 00 NL91 ABNA 0417 1643 01", "XX00 0000 0000 0000 0000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if KINDS[s.kind] == "iban"] for r in detect(df).collect()}
+    assert got == {0: ["GB82 WEST 1234 5698 7654 32"], 1: ["DE89370400440532013000"], 2: ["NL91 ABNA 0417 1643 00"], 3: []}
+
+
+def test_a_text_of_many_spans(spark):
+    n = 32_000
+    df = spark.createDataFrame([(1, "10.0.0.1, " * n)], "doc_id long, text string")
+    spans = detect(df).first().spans
+    assert [(s.start, s.end) for s in spans] == [(10 * k, 10 * k + 8) for k in range(n)]

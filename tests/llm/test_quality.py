@@ -42,3 +42,15 @@ def test_empty_and_unlabelled(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k")], "doc_id long, text string")
     assert [r.kept for r in digest(quality(docs, labels)).collect()] == [True]
     assert digest(quality(docs.limit(0), labels)).collect() == []
+
+
+def test_clashing_columns_pass(spark):
+    from tidemark.llm.quality import digest, keep_good
+
+    text = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(1, text, "mine", 7)], "doc_id long, text string, Measured string, kept int")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert [tuple(r) for r in keep_good(df, labels).collect()] == [(1, text, "mine", 7)]
+    found = quality(df, labels)
+    assert found.columns == ["doc_id", "text", "Measured", "kept", "measured_"]
+    assert digest(found).first().n_words == 30

@@ -58,7 +58,7 @@ def preferences(turns: DataFrame) -> DataFrame:
 
 def neighbours(conversations: DataFrame) -> DataFrame:
     """Pairs of neighbouring conversations: the even conv_id is chosen, the odd one after it rejected."""
-    pair = F.floor(F.col("conv_id") / 2).cast("long")
+    pair = F.shiftright(F.col("conv_id").cast("long"), 1)
     return conversations.select(pair.alias("pair_id"), F.when(F.pmod(F.col("conv_id"), F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text")
 
 

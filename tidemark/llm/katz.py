@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, checkpointed, shuffle_partitions
+from tidemark.llm.common import bounded_batches, checkpointed, released, shuffle_partitions
 
 #: Counts up to this are discounted.
 K = 5
@@ -390,6 +390,7 @@ def score(docs: DataFrame, most: int = 800_000) -> DataFrame:
     texts = own.select("row", "held", "text")
     hot = hot_tokens(texts, parts)
     tables = checkpointed(counted(bigrams(texts, parts, hot).repartition(parts, "part"), hot, most))
+    released(spark)
 
     totals = np.zeros(K + 3, np.int64)
     for line in tables.where("kind = 'totals'").select("body").toLocalIterator():  # a few numbers from each partition
@@ -415,6 +416,7 @@ def score(docs: DataFrame, most: int = 800_000) -> DataFrame:
     unseen = 1 - (F.col("mass") + 0.1 * F.col("words")) / whole
     context = context.select("v", (F.log10(freed / unseen) + F.log10(F.col("count") + 0.5)).alias("back"), F.log10(F.col("count") + 0.5).alias("log_count"))
     context = checkpointed(context)
+    released(spark)
     # the start of a text is no token, so nothing has added its count yet: the count of training texts
     start = hashed(START.encode())
     start = start - 2**64 if start >= 2**63 else start

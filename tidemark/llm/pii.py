@@ -75,25 +75,59 @@ def accepted(kind: str, value: Column) -> Column:
     if kind == "phone":
         return F.length(digits(value)).between(9, 15)
     if kind == "iban":
-        return mod97(value)
+        return value != ""
     return F.lit(True)
 
 
+def first_valid(value: Column) -> Column:
+    """The longest part of a proposed account number, from its start and up to the end of a group, that passes its check; empty if none does."""
+
+    def part(v: Column) -> Column:
+        ends = F.filter(F.sequence(F.length(v), F.lit(15), F.lit(-1)), lambda n: (F.substring(v, n + 1, F.lit(1)).isin("", " ")) & (F.substring(v, n, F.lit(1)) != " "))
+        return F.coalesce(F.substring(v, F.lit(1), F.get(F.filter(ends, lambda n: mod97(F.substring(v, F.lit(1), n))), F.lit(0))), F.lit(""))
+
+    return let(value, part)
+
+
+def total(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
+
+
+def begins(gaps: Column, values: Column) -> Column:
+    """Where each value starts, if gaps and values take turns.
+
+    In two levels, the sums of blocks and those within one: a text of n values takes n times the root of n additions, and no array is
+    copied as it grows.
+    """
+
+    def blocked(lengths: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(lengths))).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), F.size(lengths) - 1, size), lambda k: total(F.slice(lengths, k + 1, size)))
+        before = let(sums, lambda b: F.transform(b, lambda _, k: total(F.slice(b, F.lit(1), k))))
+
+        def begin(at: Column) -> Column:
+            return F.transform(values, lambda _, i: F.get(at, F.floor(i / size).cast("int")) + total(F.slice(lengths, i - i % size + 1, i % size)) + F.length(F.get(gaps, i)))
+
+        return let(before, begin)
+
+    return let(F.transform(values, lambda v, i: F.length(F.get(gaps, i)) + F.length(v)), blocked)
+
+
 def found(text: Column, kind: str, pattern: str) -> Column:
     """Accepted spans of a kind: start and end in code points, the kind's number, score and whether it counts."""
     number = KINDS.index(kind)
 
     def placed(values: Column) -> Column:
         def along(gaps: Column) -> Column:
-            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string,before:string>>").alias("out"))
+            def spans(at: Column) -> Column:
+                def span(v: Column, i: Column) -> Column:
+                    own = first_valid(v) if kind == "iban" else v
+                    before = F.right(F.get(gaps, i), F.lit(CONTEXT))
+                    return let(own, lambda x: F.struct(F.get(at, i).alias("start"), F.lit(number).alias("kind"), (F.get(at, i) + F.length(x)).alias("end"), x.alias("value"), before.alias("before")))
 
-            def step(state: Column, i: Column) -> Column:
-                begin = state["at"] + F.length(F.get(gaps, i))
-                end = begin + F.length(F.get(values, i))
-                span = F.struct(begin.alias("start"), F.lit(number).alias("kind"), end.alias("end"), F.get(values, i).alias("value"), F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"))
-                return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+                return F.transform(values, span)
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), start, step)["out"]
+            return let(begins(gaps, values), spans)
 
         return F.when(F.size(values) > 0, let(F.split(text, pattern, -1), along)).otherwise(F.array())
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, words
+from tidemark.llm.common import free, let, words
 
 #: Characters that count as symbols; fixed by the contract.
 SYMBOLS = "#*$%&|<>"
@@ -70,12 +70,13 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> Column:
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All columns of `docs` with a struct `measured`: the base measures, base_failed, ratio (mean log ratio) and kept.
+    """All columns of `docs` and last a struct `measured`: the base measures, base_failed, ratio (mean log ratio) and kept.
 
     Null texts and texts without words have no words, fail the base rule and have ratio 0. Rows are judged one by one, repeated or not;
     null ids are raw documents only. Without any trusted document both models are equal and every ratio is 0. `docs` may have any other
-    columns, but one named measured would be replaced.
+    columns; if one is named measured, the struct's name has as many underscores after it as make it differ.
     """
+    name = free("measured", docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def measures(w: Column) -> Column:
@@ -85,7 +86,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
         # the array of ratios is bound once; summed over words first, then over pairs
         total = lambda r: F.aggregate(two, F.aggregate(one, F.lit(0.0), lambda a, h: a + F.get(r, bucket(h))), lambda a, h: a + F.get(r, bucket(h)))
-        mean = let(F.col("measured"), lambda r: F.when(F.size(w) == 0, 0.0).otherwise(total(r) / (F.size(one) + F.size(two))))
+        mean = let(F.col(name), lambda r: F.when(F.size(w) == 0, 0.0).otherwise(total(r) / (F.size(one) + F.size(two))))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
@@ -96,21 +97,21 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         )
 
     # a subquery can't stand in a lambda itself; the optimiser moves it there, so the array is in no row
-    found = docs.withColumn("measured", log_ratios(docs, labels)).withColumn("measured", let(words(text), measures))
-    m = F.col("measured")
+    found = docs.withColumn(name, log_ratios(docs, labels)).withColumn(name, let(words(text), measures))
+    m = F.col(name)
     failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
-    found = found.withColumn("measured", m.withField("base_failed", failed))
-    return found.withColumn("measured", F.col("measured").withField("kept", ~F.col("measured")["base_failed"] & (F.col("measured")["ratio"] >= THRESHOLD)))
+    found = found.withColumn(name, m.withField("base_failed", failed))
+    return found.withColumn(name, m.withField("kept", ~m["base_failed"] & (m["ratio"] >= THRESHOLD)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that the rules keep."""
     found = quality(docs, labels)
     # generated and not filtered: a filter would be moved below the measures and take them once for each of its conditions
-    kept = F.explode(F.when(F.col("measured")["kept"], F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))).alias("__kept")
+    kept = F.explode(F.when(F.col(found.columns[-1])["kept"], F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))).alias(free("kept", docs))
     return found.select(*docs.columns, kept).select(docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
-    return found.select("doc_id", *(F.col("measured")[n].alias(n) for n in names))
+    return found.select("doc_id", *(F.col(found.columns[-1])[n].alias(n) for n in names))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, checkpointed, shuffle_partitions
+from tidemark.llm.common import bounded_batches, checkpointed, released, shuffle_partitions
 
 #: Odd multipliers of the rolling hash and its final mixing; any will do.
 ROLL, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -143,6 +143,8 @@ def repeated(docs: DataFrame, length: int = 100, k: int = 32, hot: int = 2048) -
         .where("turn > 1 or mixed")
     )
     ranked = checkpointed(ranked)
+    del runs
+    released(docs.sparkSession)
     gone = ranked.where("turn > 1").select("doc_id", "crc", F.col("start").alias("a"), (F.col("start") + F.col("n") + length - 1).alias("b"))
     first = ranked.where("turn = 1")
     wanted = first.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("h", "start", "n", "size")).alias("runs"))
