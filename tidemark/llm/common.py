@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,9 +83,11 @@ def dropped(table: DataFrame) -> None:
 def released(spark: SparkSession) -> None:
     """Has Spark delete the shuffle files that nothing refers to any more, now and not when the driver next collects its garbage.
 
-    To be called when a step's result is stored and its plans are out of reach.
+    To be called when a step's result is stored and its plans are out of reach. Python tells the driver of plans that it has let go of
+    about once a second.
     """
     gc.collect()
+    time.sleep(1.5)
     spark._jvm.System.gc()
 
 
