@@ -128,3 +128,20 @@ def test_stream_windows(spark, tmp_path):
     assert sorted(r.k for r in result(deduplicated(rows(), "1 hour", "k"), "deduplicated", "append")) == ["x", "y"]
     pairs = result(joined(rows(), rows(), "k", "1 minute", "1 hour"), "joined", "append")
     assert len(pairs) == 2 * 2 + 2 + 1 + 1
+
+
+def test_bloom_filter(spark):
+    from tidemark.errors import Unsupported
+
+    df = spark.range(0, 2000).select(F.lit("2024-01-01").cast("timestamp").alias("__time"), F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("v"), "id")).alias("v"))
+    native = Native(Catalog(spark).add("t", df))
+    for entries in (1000, 60_000):
+        made = native({"queryType": "timeseries", "dataSource": "t", "granularity": "all", "aggregations": [{"type": "bloomFilter", "name": "b", "fieldName": "v", "maxNumEntries": entries}]}).first().b
+        found = native({"queryType": "scan", "dataSource": "t", "columns": ["k"], "filter": {"type": "bloomFilter", "dimension": "v", "bloomKFilter": made}}).collect()
+        assert sorted(r.k for r in found) == list(range(0, 2000, 3))
+        other = native({"queryType": "scan", "dataSource": "t", "columns": ["k"], "filter": {"type": "bloomFilter", "dimension": "k", "bloomKFilter": made}}).collect()
+        assert len(other) < 60
+    with pytest.raises(Invalid):
+        native({"queryType": "scan", "dataSource": "t", "filter": {"type": "bloomFilter", "dimension": "v", "bloomKFilter": "abc="}})
+    with pytest.raises(Unsupported):
+        native({"queryType": "timeseries", "dataSource": "t", "granularity": "all", "aggregations": [{"type": "bloomFilter", "name": "b", "fieldName": "v", "maxNumEntries": 1 << 26}]})

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidemark.catalog import TIME
 from tidemark.errors import Invalid, Unsupported
+from tidemark.functions import bloom
 from tidemark.functions.expressions import Parser, Typed
 from tidemark.operators.filters import Filters
 
@@ -80,6 +81,12 @@ class Aggregators:
         if kind == "stringAgg":
             values = F.sort_array(F.collect_list(keep(self.field(s).cast("string"))))
             return F.when(F.size(values) > 0, F.array_join(values, s.get("separator", ",")))
+        if kind == "bloomFilter":
+            name = s.get("fieldName") or (s["field"] if isinstance(s.get("field"), str) else (s.get("field") or {}).get("dimension"))
+            if only is not None:
+                raise Unsupported("bloomFilter", "under a filtered aggregator; filter the query")
+            value = f"`{name}`" if name in self.types else "CAST(NULL AS STRING)"
+            return F.expr(bloom.build(value, int(s.get("maxNumEntries", s.get("numEntries", 1500)))))
         if kind == "grouping":
             # the first name is the highest bit, 1 where it is aggregated away; without grouping sets nothing is
             bits = [F.grouping(f"`{n}`").cast("bigint") if n in self.subtotalled else F.lit(0).cast("bigint") for n in s.get("groupings") or s.get("fields") or []]
@@ -125,6 +132,23 @@ class PostAggregators:
     def _read(self, name: str) -> Column:
         return finalized(self.kinds.get(name, ""), F.col(f"`{name}`"))
 
+    def _sketch(self, s) -> Column:
+        """A sketch as it is: an output's, or what set operations make of several."""
+        if isinstance(s, str) or s["type"] != "thetaSketchSetOp":
+            return F.col(f"`{s if isinstance(s, str) else s['fieldName']}`")
+        combine = {"UNION": F.theta_union, "INTERSECT": F.theta_intersection, "NOT": F.theta_difference}.get(str(s.get("func")).upper())
+        if combine is None or not s.get("fields"):
+            raise Unsupported("thetaSketchSetOp", f"func {s.get('func')!r}")
+        parts = [self._sketch(f) for f in s["fields"]]
+        for f in s["fields"]:
+            name = f if isinstance(f, str) else f.get("fieldName")
+            if name in self.kinds and SKETCHES.get(self.kinds[name]) != "theta":
+                raise Invalid("thetaSketchSetOp", f"{name} is no theta sketch")
+        out = parts[0]
+        for p in parts[1:]:
+            out = combine(out, p)
+        return out
+
     def __call__(self, s: dict) -> Column:
         kind = s["type"]
         if kind in ("fieldAccess", "finalizingFieldAccess"):
@@ -141,7 +165,9 @@ class PostAggregators:
             return out
         if kind == "expression":
             return Parser(s["expression"], lambda n: Typed(self._read(n).cast("double"), "number")).parse().column
-        sketch = lambda: F.col(f"`{s['field']['fieldName'] if isinstance(s.get('field'), dict) else s.get('fieldName', s.get('field'))}`")
+        sketch = lambda: self._sketch(s.get("field") or s.get("fieldName"))
+        if kind == "thetaSketchSetOp":
+            return F.theta_sketch_estimate(self._sketch(s))
         if kind in ("hyperUniqueCardinality", "HLLSketchEstimate"):
             return F.hll_sketch_estimate(sketch())
         if kind == "thetaSketchEstimate":

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.errors import Invalid, Unsupported
+from tidemark.functions import bloom
 from tidemark.functions.expressions import over_columns
 from tidemark.functions.granularity import within
 
@@ -221,6 +222,12 @@ class Filters:
             out = out & value(a).eqNullSafe(value(b))
         return out
 
+    def _bloomfilter(self, s: dict) -> Column:
+        name = s["dimension"]
+        self._single(name, "bloomFilter filter")
+        text = bloom.checked(s.get("bloomKFilter") or s.get("bloomFilter") or "")
+        return F.expr(bloom.test(f"`{name}`", f"'{text}'")) if name in self.types else F.lit(False)
+
     def _true(self, _: dict) -> Column:
         return F.lit(True)
 

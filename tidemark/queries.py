@@ -278,6 +278,20 @@ def hll_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q["a_hll_merge"] = (hll_merge, "SELECT count(DISTINCT user_id) AS users FROM events")
 
 
+def bloom_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event type's customers in a filter, against all customers: those of the filter are all in it; others hardly ever."""
+    of = session(catalog(spark, sf_dir))
+    text = "WITH f AS (SELECT BLOOM_FILTER(user_id, 20000) AS b FROM events WHERE user_id % 2 = 0) SELECT user_id, BLOOM_FILTER_TEST(user_id, b) AS found, COUNT(*) AS n FROM events CROSS JOIN f GROUP BY 1, 2"
+    return of(text).select("user_id", "found", "n")
+
+
+Q["k_bloom"] = (bloom_members, "SELECT user_id, user_id % 2 = 0 AS found, count(*) AS n FROM events GROUP BY 1, 2")
+_theta = lambda kind: {"type": "filtered", "filter": {"type": "selector", "dimension": "event_type", "value": kind}, "aggregator": {"type": "thetaSketch", "name": kind, "fieldName": "user_id"}}
+_both = {kind: {"type": "thetaSketchSetOp", "name": name, "func": kind, "fields": [{"type": "fieldAccess", "fieldName": "click"}, {"type": "fieldAccess", "fieldName": "error"}]} for kind, name in (("UNION", "either"), ("INTERSECT", "both"), ("NOT", "first"))}
+_of = lambda kind: f"(SELECT DISTINCT user_id FROM events WHERE event_type = '{kind}')"
+Q["k_theta_ops"] = (native(queryType="timeseries", dataSource="events", granularity="all", aggregations=[_theta("click"), _theta("error")], postAggregations=list(_both.values())), f"SELECT (SELECT count(*) FROM {_of('click')}) AS click, (SELECT count(*) FROM {_of('error')}) AS error, (SELECT count(*) FROM ({_of('click')} UNION {_of('error')})) AS either, (SELECT count(*) FROM ({_of('click')} INTERSECT {_of('error')})) AS both, (SELECT count(*) FROM ({_of('click')} EXCEPT {_of('error')})) AS first")
+
+
 def array_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = {"queryType": "groupBy", "dataSource": "events", "granularity": "all", "dimensions": ["user_id"], "aggregations": [{"type": "arrayAgg", "name": "kinds", "fieldName": "event_type", "distinct": True}]}
     return Native(catalog(spark, sf_dir))(spec).withColumn("kinds", F.array_join("kinds", ","))

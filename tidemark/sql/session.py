@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog
 from tidemark.errors import Invalid, Unsupported
+from tidemark.functions import bloom
 from tidemark.functions.granularity import FIXED, PERIODS
 
 CALENDAR = {"P1W": "week", "P1M": "month", "P3M": "quarter", "P1Y": "year"}
@@ -106,10 +107,20 @@ class Sql:
                 own, k = self._bracket(tokens, after)
                 out.append(f"array({own})")
                 continue
-            elif call and (name in AGGREGATES or name == "lookup"):
+            elif call and (name in AGGREGATES or name in ("lookup", "bloom_filter", "bloom_filter_test")):
                 args, k = self._arguments(tokens, after)
                 if name == "lookup":
                     out.append(self._lookup(args))
+                elif name.startswith("bloom"):
+                    if len(args) != 2:
+                        raise Invalid(token, "takes 2 arguments")
+                    value, other = (a.strip() for a in args)
+                    if name == "bloom_filter":
+                        out.append(bloom.build(f"({value})", int(other)))
+                    else:
+                        if other.startswith("'"):
+                            bloom.checked(other.strip("'"))
+                        out.append(bloom.test(f"({value})", other))
                 else:
                     if name in ("earliest", "latest") and len(args) > 1 and not args[1].strip().isdigit():
                         name += "_by"
