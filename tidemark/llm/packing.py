@@ -234,5 +234,8 @@ def pack(items: DataFrame, capacity: int = 4096, per_partition: int = 1 << 17, f
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """Packs `docs` (doc_id, text) into sequences of at most `capacity` tokens; see `pieces` and `pack`."""
+    """Packs `docs` (doc_id, text) into sequences of at most `capacity` tokens; see `pieces` and `pack`.
+
+    Ids are kept in two bytes, so a tokenizer may have 65,536 ids at most; a larger id raises an error.
+    """
     return pack(checkpointed(pieces(docs, tokenizer, capacity, end_id)), capacity)
