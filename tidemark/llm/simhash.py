@@ -6,8 +6,8 @@ it, pairs of nodes are walked together, one bit at a time, and a pair is
 pruned as soon as the differing bits on its way exceed the budget. All the
 tries of a task are walked at once, level by level, as arrays.
 
-`keep_one`, the pipeline's stage, links by the Jaccard similarity of five-word
-shingles. SimHashes at that similarity are some ten bits apart, too many for
+`keep_first`, the pipeline's stage, keeps one document of each component.
+`keep_one` links by the Jaccard similarity of five-word shingles. SimHashes at that similarity are some ten bits apart, too many for
 blocks; so documents that share two of their least shingle hashes are
 candidates, and their whole sets of shingles decide.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, checkpointed, shuffle_partitions
+from tidemark.llm.common import bounded_batches, checkpointed, free, shuffle_partitions
 from tidemark.llm.components import components
 
 BITS = 64
@@ -49,15 +49,16 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(first), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed bigint. A null text has no words. Rows are neither merged nor dropped."""
+def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, fp, bigint columns of `also`): fp is the fingerprint's 64 bits as a signed bigint. A null text has no words. Rows are neither merged nor dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(made)], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(made), *batch.columns[2:]], names=["doc_id", "fp", *also])
 
-    return bounded_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, fp long")
+    kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *also)
+    return bounded_batches(kept).mapInArrow(run, ", ".join(f"{name} long" for name in ("doc_id", "fp", *also)))
 
 
 def trie_pairs(bucket: np.ndarray, value: np.ndarray, depth: int, errors: int, leaf: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -182,6 +183,21 @@ def near_duplicates(docs: DataFrame, errors: int = 3) -> DataFrame:
     return marked.join(named.join(smallest, "root").select("fp", "component_id"), "fp")
 
 
+def keep_first(docs: DataFrame, errors: int = 3) -> DataFrame:
+    """The rows of `docs`, all columns, of which each component of fingerprints within `errors` bits keeps the smallest doc_id (null first), then text hash.
+
+    Rows that are equal in doc_id and text leave one row.
+    """
+    doc, th, k, kth = (free(name, docs) for name in ("__doc", "__th", "__k", "__kth"))
+    own = docs.withColumns({doc: F.col("doc_id").cast("long"), th: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    least = checkpointed(fingerprints(own, th).groupBy("fp").agg(F.min(F.struct("doc_id", th)).alias("first")))
+    roots = components(near_edges(least.select("fp"), errors)).withColumnsRenamed({"node": "fp"})
+    kept = least.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("kept"))
+    kept = kept.select(F.col("kept.doc_id").alias(k), F.col(f"kept.{th}").alias(kth))
+    joined = own.join(kept, own[doc].eqNullSafe(F.col(k)) & (own[th] == F.col(kth)), "left_semi")
+    return joined.dropDuplicates([doc, th]).select(docs.columns)
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
